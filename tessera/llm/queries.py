@@ -6,6 +6,8 @@ from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.neardup import op10_near_duplicates
 from tessera.llm.quality import OP6_SQL, op6_quality
 from tessera.llm.streaming_viterbi import op8_sentencepiece
+from tessera.llm.token_files import op3_token_ids
+from tessera.llm.warc import OP1_SQL, op1_warc_index
 
 
 def _pipeline(spark, sf_dir):
@@ -15,10 +17,12 @@ def _pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
+    "op3_token_ids": op3_token_ids,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": _pipeline,
 }
-ORACLES = {"op6_quality": OP6_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op1_warc_index": OP1_SQL, "op6_quality": OP6_SQL, "op7_mixing": OP7_SQL}
