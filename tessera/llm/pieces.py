@@ -43,6 +43,7 @@ class Pieces:
         #: Every start of a piece: with the piece's score and id, or with None where it is only a start.
         self.table = {p[:n]: None for p in self.id for n in range(1, len(p) + 1)}
         self.table.update({p: (self.score[p], i) for p, i in self.id.items()})
+        self.ends = {p[-n:] for p in self.id for n in range(1, len(p) + 1)}
         self.alphabet = frozenset(p for p in self.id if len(p) == 1)
         self.automaton = _automaton(self.id, self.score)
         #: No piece holds a space after anything else, nor a line break: so such places always part the lattice.

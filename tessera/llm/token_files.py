@@ -49,19 +49,37 @@ def _tokenizer(content: bytes):
     return t
 
 
+#: ASCII marks that the tokenizer's pre-tokens keep together; no apostrophe, which may start a suffix.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Packed ids of a text. The tokenizer drops white space and parts words at it before its merges, so words at ASCII
-    white space are encoded one by one and remembered."""
+    white space are encoded one by one and remembered; of plain words, letters and marks apart, as it parts them too."""
 
     def __init__(self, content: bytes):
         self.tokenizer = _tokenizer(content)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if wide else "<u2")
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, 400_000)
+        self.parts = Memo(self._ids, 400_000)
+
+    def _ids(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():  # nothing is left to normalise or to part
+            ids = [t.id for t in self.tokenizer.model.tokenize(part)]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return np.array(ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+        text = word.decode("utf-8")
+        letters = text.rstrip(MARKS)
+        lower = letters.lower()
+        # the lower case of a sigma depends on its place in Python, that of some letters holds a mark
+        if letters.isalpha() and lower.isalpha() and "Σ" not in letters:
+            marks = text[len(letters):]
+            return self.parts[lower] + (self.parts[marks] if marks else b"")
+        return self._ids(text)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8").split()))
