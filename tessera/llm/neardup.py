@@ -6,10 +6,11 @@ A document's set holds its distinct word shingles (``shingles.shingle_set``). Tw
 1. one pass over the texts gives each document the key of its set, its band keys and its odd sketch: MinHash samples
    folded into a parity bitmap, whose XOR population count estimates a high similarity closely;
 2. documents with equal sets become one node (the smallest doc_id), so copies cost nothing further;
-3. each band's bucket links its nodes to the bucket's smallest node, a star and not all pairs; a pair goes on if
-   its odd sketches allow the similarity, and is a link if the full sets confirm it;
-4. where a bucket still holds more than one component, its other pairs between components are compared in blocks by
-   their odd sketches, and those that pass are confirmed on full sets too, so a link needs no path through a star;
+3. each node is paired with the smallest node that it shares a bucket with, one pair a node and not all pairs; a pair
+   goes on if its odd sketches allow the similarity, and is a link if the full sets confirm it;
+4. where a bucket still holds more than one component, its pairs between components are compared in blocks by their odd
+   sketches, and those that pass are confirmed on full sets too, the closest first, as components that they join need
+   no further pairs;
 5. components of the links, by contraction in tables.
 
 With 40 bands of 5 samples a pair at similarity 0.75 shares no bucket with probability 2e-5 (0.85: 4e-11).
@@ -30,7 +31,10 @@ from tessera.llm.links import components
 from tessera.llm.shingles import Sketcher, popcounts, shingle_set
 
 #: Estimates come from samples; a pair goes on to the full sets from this far below the similarity asked for.
-SLACK = 0.2
+SLACK = 0.16
+#: Buckets that stay open are compared by finer sketches: samples, bits, and how far below they may estimate (four
+#: standard deviations).
+FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1500, 4096, 0.06
 #: Members that one task confirms against one centre, and nodes of a bucket in one block of comparisons.
 SALT_ROWS, BLOCK = 2048, 1024
 #: So many ids (some 30 MB) may be broadcast to pick the texts to confirm; more are joined by a shuffle.
@@ -68,6 +72,14 @@ def _sets(words: int):
     return run
 
 
+def _finer(words: int, sketcher: Sketcher):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [sketcher.odd_sketch(sketcher.samples(shingle_set(text.as_py(), words))) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.binary())], names=["node", "odd"])
+    return run
+
+
 def _confirm(part: Fraction):
     """Rows sorted so that a centre's set stands before its members'. Keeps one set in memory besides the batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +145,7 @@ class NearDuplicates:
     """``words`` a shingle, links from ``similarity`` on; bands, rows and bits as in ``Sketcher``."""
 
     def __init__(self, spark: SparkSession, words: int = 5, similarity: Fraction | float = Fraction(3, 4),
-                 bands: int = 40, rows: int = 5, bits: int = 512):
+                 bands: int = 40, rows: int = 5, bits: int = 1024):
         self.spark, self.words = spark, words
         self.part = Fraction(similarity).limit_denominator(10_000)
         self.sketcher = Sketcher(bands, rows, bits)
@@ -168,17 +180,25 @@ class NearDuplicates:
         held = nodes.select("node", F.explode("bands").alias("bucket"))
         centres = held.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where(
             "centre < last").select("bucket", "centre")
-        live = table(held.join(centres, "bucket").where("node <> centre"), "live")
+        live = table(held.join(centres, "bucket"), "live")
         odd = nodes.select("node", "odd")
-        links = self._confirmed(docs, self._allowed(live.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-                                                    .distinct(), odd), "star")
+        star = live.where("node <> centre").groupBy(F.col("node").alias("b")).agg(F.min("centre").alias("a"))
+        known = table(star.select("a", "b"), "known")
+        links = self._confirmed(docs, self._allowed(known, odd), "star")
         links = links.union(same)
         joined = components(self.scratch, links, "star")
-        for turn, limit in enumerate((4, 64, None)):
-            pairs = table(self._between(live, joined, odd, limit), f"between{turn}")
+        still = table(self._open(live, joined).select(F.col("node").alias("end")).distinct(), "still")
+        few = 0 < still.count()
+        if few:
+            finer = Sketcher(1, FINE_SAMPLES, FINE_BITS, seed=1009)
+            most = finer.most_odd(float(self.part) - FINE_SLACK)
+            fine = table(self._texts(docs, still).mapInArrow(_finer(self.words, finer), "node long, odd binary"), "fine")
+        for turn, limit in enumerate((4, 64, None) if few else ()):
+            pairs = table(self._between(live, joined, fine, limit, most).join(known, ["a", "b"], "left_anti"), f"between{turn}")
             if pairs.isEmpty():
                 break
-            more = self._confirmed(docs, pairs.select("a", "b").distinct(), f"more{turn}")
+            more = self._confirmed(docs, pairs.select("a", "b"), f"more{turn}")
+            known = known.union(pairs.select("a", "b"))
             cut = not pairs.where("cut").isEmpty()
             if not more.isEmpty():
                 links = links.union(more)
@@ -230,10 +250,7 @@ class NearDuplicates:
         pairs = table(pairs, f"{tag}-pairs")
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
         ends = table(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), f"{tag}-ends")
-        if ends.count() <= BROADCAST_IDS:
-            ends = F.broadcast(ends)
-        sets = table(docs.join(ends, docs.doc_id == ends.end, "left_semi").dropDuplicates(["doc_id", "text"])
-                     .select("doc_id", "text").mapInArrow(_sets(self.words), "node long, held binary"), f"{tag}-sets")
+        sets = table(self._texts(docs, ends).mapInArrow(_sets(self.words), "node long, held binary"), f"{tag}-sets")
         centre = salts.join(sets, salts.a == sets.node).select(
             F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
             F.lit(None).cast("long").alias("node"), "held")
@@ -246,13 +263,22 @@ class NearDuplicates:
         drop(f"{tag}-sets", f"{tag}-pairs")
         return links
 
-    def _between(self, live: DataFrame, joined: DataFrame, odd: DataFrame, limit: int | None) -> DataFrame:
-        """Pairs of one bucket but of different components, by their odd sketches. Pairs with a centre are known. Of
-        each bucket, nodes outside its largest component are compared with all of its nodes, block by block."""
+    def _texts(self, docs: DataFrame, ends: DataFrame) -> DataFrame:
+        """The rows of ``docs`` whose id is an ``end``."""
+        if ends.count() <= BROADCAST_IDS:
+            ends = F.broadcast(ends)
+        return docs.join(ends, docs.doc_id == ends.end, "left_semi").dropDuplicates(["doc_id", "text"]).select("doc_id", "text")
+
+    def _open(self, live: DataFrame, joined: DataFrame) -> DataFrame:
+        """The rows (bucket, node, component) of buckets with more than one component."""
         rows = live.select("bucket", "node").join(joined, "node", "left").select(
             "bucket", "node", F.coalesce("component", "node").alias("component"))
         open_ = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        rows = rows.join(open_.select("bucket"), "bucket", "left_semi")
+        return rows.join(open_.select("bucket"), "bucket", "left_semi")
+
+    def _between(self, live: DataFrame, joined: DataFrame, odd: DataFrame, limit: int | None, most: int) -> DataFrame:
+        """Pairs (a < b) of one bucket but of different components, by their odd sketches. Of each bucket, nodes outside its largest component are compared with all of its nodes, block by block."""
+        rows = self._open(live, joined)
         sizes = rows.groupBy("bucket", "component").count()
         whole = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("big"),
                                             F.sum("count").alias("n"))
@@ -271,8 +297,8 @@ class NearDuplicates:
         # a minor node that is here only to be asked counts as one of the rest
         cells = cells.join(odd, "node").select("bucket", "i", "j", "node", "component", "asks", "odd")
         cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        return cells.mapInArrow(_blocks(self.most, limit), "a long, b long, cut boolean").groupBy("a", "b").agg(
-            F.max("cut").alias("cut"))
+        return cells.mapInArrow(_blocks(most, limit), "a long, b long, cut boolean").groupBy(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.chat import OP4_SQL, op4_chat_format
+from tessera.llm.extraction import op2_main_text
 from tessera.llm.hnsw import op9_nearest
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.neardup import op10_near_duplicates
@@ -21,6 +22,7 @@ def _pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op2_main_text": op2_main_text,
     "op3_token_ids": op3_token_ids,
     "op4_chat_format": op4_chat_format,
     "op5_token_counts": op5_token_counts,

@@ -95,7 +95,7 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
 class Sketcher:
     """MinHash samples of shingle sets, their band keys, and odd sketches: the samples folded into a parity bitmap."""
 
-    def __init__(self, bands: int = 40, rows: int = 5, bits: int = 512, seed: int = 7):
+    def __init__(self, bands: int = 40, rows: int = 5, bits: int = 1024, seed: int = 7):
         self.bands, self.rows, self.bits = bands, rows, bits
         k = bands * rows
         self.k = k
