@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import parameters, sequences, series, sources, tensor, tuner  # noqa: F401
+from tessera.registry import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["flagship_classifier"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
