@@ -68,7 +68,7 @@ def word_hashes(text: str) -> np.ndarray:
             value = _U(0)
             for lo in range(int(base), int(ends[at]), _CHUNK - 1):
                 hi = min(lo + _CHUNK - 1, int(ends[at]))
-                value = mix(np.array([value + _hash_span(data[lo:hi], np.array([0]), np.array([hi - lo]))[0]]))[0]
+                value = mix(_hash_span(data[lo:hi], np.array([0]), np.array([hi - lo])) + value)[0]
             out[at] = value
         else:
             out[at:upto] = _hash_span(data[base : ends[upto - 1]], starts[at:upto] - base, ends[at:upto] - base)

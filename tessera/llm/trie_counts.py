@@ -8,6 +8,7 @@ counts from batch to batch. No shuffle: a document's counts are looked up where
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,12 +58,15 @@ def trie_counts(words: list[str], v: Pieces) -> dict[str, int]:
 
 
 def pretokens(text: str) -> list[str]:
-    """Words at single spaces, each but the first with the space before it; line breaks stand alone."""
+    """Words with the spaces before them, as the encoder parts them; line breaks stand alone."""
     out: list[str] = []
     text = text.replace(SPACE, "\uffff")  # its own U+2581 is no space; it becomes three bytes, as this does
     for k, line in enumerate(text.split("\n")):
         if k:
             out.append("\n")
+        if "  " in line or line[-1:] == " ":
+            out += [p.replace(" ", SPACE) for p in re.findall(" *[^ ]+| +", line)]
+            continue
         head, *rest = line.split(" ")
         if head:
             out.append(head)
