@@ -39,7 +39,7 @@ ORACLES["win26_rnn"] = f"""{_STEPS} f as (select distinct user_id, 0::bigint as
 #: the emission then opens anew at the next row.
 TIMED = """aggregate(xs, named_struct('start', cast(null as double), 'n', 0L, 'sum', 0D, 'out', cast(array() as array<struct<t:double,y:double>>)),
   (s, e) -> case when s.start is null then named_struct('start', e.t, 'n', 1L, 'sum', e.y, 'out', s.out)
-    when e.t - s.start > 20000 then named_struct('start', cast(null as double), 'n', 0L, 'sum', 0D,
+    when e.t - s.start > 1500 then named_struct('start', cast(null as double), 'n', 0L, 'sum', 0D,
       'out', concat(s.out, array(named_struct('t', e.t, 'y', (s.sum + e.y) / (s.n + 1)))))
     else named_struct('start', s.start, 'n', s.n + 1, 'sum', s.sum + e.y, 'out', s.out) end, s -> s.out)"""
 
@@ -56,8 +56,8 @@ QUERIES["win4_time_downsample"] = _timed
 ORACLES["win4_time_downsample"] = f"""with recursive e as (select o_custkey as b, o_orderkey as t, o_totalprice as y,
    row_number() over (partition by o_custkey order by o_orderkey, o_totalprice) as k from orders),
  f as (select distinct b, 0::bigint as k, null::bigint as s, 0::bigint as n, 0::double as sum, null::bigint as t, null::double as y from e union all
-  select f.b, e.k, case when f.s is null then e.t when e.t - f.s > 20000 then null else f.s end,
-   case when f.s is null then 1 when e.t - f.s > 20000 then 0 else f.n + 1 end, case when f.s is null then e.y when e.t - f.s > 20000 then 0 else f.sum + e.y end,
-   case when f.s is not null and e.t - f.s > 20000 then e.t end, case when f.s is not null and e.t - f.s > 20000 then (f.sum + e.y) / (f.n + 1) end
+  select f.b, e.k, case when f.s is null then e.t when e.t - f.s > 1500 then null else f.s end,
+   case when f.s is null then 1 when e.t - f.s > 1500 then 0 else f.n + 1 end, case when f.s is null then e.y when e.t - f.s > 1500 then 0 else f.sum + e.y end,
+   case when f.s is not null and e.t - f.s > 1500 then e.t end, case when f.s is not null and e.t - f.s > 1500 then (f.sum + e.y) / (f.n + 1) end
   from f join e on e.b = f.b and e.k = f.k + 1)
  select b as branch, t, {Q6('y')} as y from f where t is not null"""
