@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base if ":/" in base else "file://" + os.path.abspath(base)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, as they import it and may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='tessera-')}/tessera.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(path)
+    context._tessera_shipped = True
+
+
 class Scratch:
     """A folder of tables under the shared one. ``table`` writes a frame as Parquet and reads it again, which cuts
     lineage by files that outlive any executor."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -47,6 +64,7 @@ class Scratch:
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds the rows of one Arrow batch, so that very long texts don't add up in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
