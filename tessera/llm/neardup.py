@@ -101,16 +101,19 @@ def _confirm(part: Fraction):
 
 def _blocks(most: int, limit: int | None):
     """Rows sorted by block. Within a block, each minor node against all nodes of other components: pairs whose
-    sketches pass; of those with one component, the ``limit`` closest. ``cut`` says that some were left for later."""
-    def compare(block: list[tuple]) -> Iterator[tuple]:
+    sketches pass; of those with one component, the ``limit`` closest. ``cut`` says that some were left for later.
+    Nodes that share several buckets meet in each; the pair leaves the first of them only."""
+    def compare(bucket: int, block: list[tuple]) -> Iterator[tuple]:
         nodes = np.array([r[0] for r in block], dtype=np.int64)
         groups = np.array([r[1] for r in block], dtype=np.int64)
         odd = np.frombuffer(b"".join(r[3] for r in block), dtype=np.uint64).reshape(len(block), -1)
         minor = np.array([r[2] for r in block], dtype=bool)
+        bands = np.stack([r[4] for r in block])
         for i in np.flatnonzero(minor):
             off = popcounts(odd, odd[i])
             # of two minor nodes, the smaller one asks
             fit = np.flatnonzero((off <= most) & (groups != groups[i]) & (~minor | (nodes > nodes[i])))
+            fit = fit[bands[i][(bands[fit] == bands[i]).argmax(axis=1)] == bucket]
             if limit is None:
                 for j in fit:
                     yield int(nodes[i]), int(nodes[j]), False
@@ -130,14 +133,15 @@ def _blocks(most: int, limit: int | None):
         at, block = None, []
         for batch in batches:
             rows = []
-            for bucket, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            bands = batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else ()
+            for bucket, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), bands, strict=True):
                 if at != (bucket, i, j):
-                    rows += compare(block) if block else ()
+                    rows += compare(at[0], block) if block else ()
                     at, block = (bucket, i, j), []
                 block.append(tuple(row))
             yield out(rows)
         if block:
-            yield out(list(compare(block)))
+            yield out(list(compare(at[0], block)))
     return run
 
 
@@ -192,7 +196,8 @@ class NearDuplicates:
         if few:
             finer = Sketcher(1, FINE_SAMPLES, FINE_BITS, seed=1009)
             most = finer.most_odd(float(self.part) - FINE_SLACK)
-            fine = table(self._texts(docs, still).mapInArrow(_finer(self.words, finer), "node long, odd binary"), "fine")
+            fine = self._texts(docs, still).mapInArrow(_finer(self.words, finer), "node long, odd binary")
+            fine = table(fine.join(nodes.select("node", "bands"), "node"), "fine")
         for turn, limit in enumerate((4, 64, None) if few else ()):
             pairs = table(self._between(live, joined, fine, limit, most).join(known, ["a", "b"], "left_anti"), f"between{turn}")
             if pairs.isEmpty():
@@ -295,7 +300,7 @@ class NearDuplicates:
         cells = asks.unionByName(told).groupBy("bucket", "i", "j", "node", "component").agg(
             F.max("asks").alias("asks"), F.max("minor").alias("minor"))
         # a minor node that is here only to be asked counts as one of the rest
-        cells = cells.join(odd, "node").select("bucket", "i", "j", "node", "component", "asks", "odd")
+        cells = cells.join(odd, "node").select("bucket", "i", "j", "node", "component", "asks", "odd", "bands")
         cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         return cells.mapInArrow(_blocks(most, limit), "a long, b long, cut boolean").groupBy(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cut").alias("cut"))
