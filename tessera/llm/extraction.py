@@ -2,8 +2,9 @@
 
 A token is a tag or a text node outside the article, told apart by the path of tags above it. Tokens of one host that occur
 equally often in each of its pages, that is with equal occurrence vectors, form an equivalence class; a vector is kept
-as a sum of hashes of (page, count), which adds up over partitions, so a host of any size is never gathered. Classes with
-at least two tokens in at least half of the host's pages are its template. On a page, a class is valid if its tokens
+as a sum of hashes of (page, count), which adds up over partitions, so a host of any size is never gathered. Pages of a
+host with the same tokens in the same order are copies and count once, so that no text is template for having copies.
+Classes with at least two tokens in at least half of the host's pages are its template. On a page, a class is valid if its tokens
 stand in the template's order and nest into the classes before it; tokens of valid classes are template, the gaps between
 them are slots. What remains in the slots is the page's own; of that, the blocks that are not in menus, headers, footers,
 sidebars, notices, adverts, forms or reader comments are the main text. Text inside an article or main element is never
@@ -18,6 +19,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,35 +172,40 @@ def site(url: str | None) -> str:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     for batch in batches:
-        sites, keys, low, high, places = [], [], [], [], []
-        for page, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
-            url, page = url.as_py(), page.as_py()
-            own, name = site(url), f"{page}\0{url}"
+        sites, pages, found = [], [], []
+        for url, html in zip(*(batch.column(i) for i in range(2)), strict=True):
+            tokens = parsed(html.as_py())[0]
+            keys = [key for key, _ in keyed(tokens)]
+            whole = [_hash(path if node is None else f"{path}\0{node.text}") >> 1 for path, node in tokens]
             count: dict[int, int] = {}
             first: dict[int, int] = {}
-            for place, (key, _) in enumerate(keyed(parsed(html.as_py())[0])):
+            for place, key in enumerate(keys):
                 count[key] = count.get(key, 0) + 1
                 first.setdefault(key, place)
-            for key, n in ((-1, 1), *count.items()):  # -1 counts the pages
-                vector = _hash(f"{name}\0{n}")
-                sites.append(own)
-                keys.append(key)
-                low.append(vector & 0x7FFFFFFF)
-                high.append(vector >> 33)
-                places.append(first.get(key, 0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sites, pa.string()), pa.array(keys, pa.int64()), pa.array(low, pa.int64()),
-             pa.array(high, pa.int64()), pa.array(places, pa.int64())], names=["site", "token", "low", "high", "place"])
+            sites.append(site(url.as_py()))
+            pages.append(xxhash.xxh3_128_digest(np.array(whole, np.int64).tobytes()))
+            found.append([{"token": -1, "n": 1, "place": 0},  # -1 counts the pages
+                          *({"token": key, "n": n, "place": first[key]} for key, n in count.items())])
+        yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(pages, pa.binary()), pa.array(found, _FOUND)],
+                                         names=["site", "page", "found"])
+
+
+_FOUND = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """One row (site, template) for each host with a template: its classes as lists of tokens, each in the mean order of
     their first places, classes by their first token. Lengths follow the pages' and not the host's size."""
-    seen = pages.select("page_id", "url", "html").mapInArrow(
-        _occurrences, "site string, token long, low long, high long, place long")
-    tokens = seen.groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum("low").alias("low"),
-                                               F.sum("high").alias("high"), F.avg("place").alias("place"))
+    seen = pages.select("url", "html").mapInArrow(
+        _occurrences, "site string, page binary, found array<struct<token long, n int, place int>>")
+    distinct = seen.groupBy("site", "page").agg(F.first("found").alias("found"))  # copies have equal tokens: any will do
+    vector = F.xxhash64("page", "n")
+    tokens = distinct.select("site", "page", F.inline("found")).select("site", "token", "place", vector.alias("v")).groupBy(
+        "site", "token").agg(F.count("*").alias("pages"), F.sum(F.col("v").bitwiseAND(0x7FFFFFFF)).alias("low"),
+                             F.sum(F.shiftrightunsigned("v", 33)).alias("high"), F.avg("place").alias("place"))
     tokens = tokens.where("pages > 1")
     of = tokens.where("token = -1").select("site", F.col("pages").alias("all"))
     classes = tokens.where("token <> -1").join(of, "site").where("pages * 2 >= all").groupBy("site", "pages", "low", "high").agg(

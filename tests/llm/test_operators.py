@@ -222,6 +222,18 @@ def test_main_text(spark):
     assert extracted(spark, pages(spark, [])).count() == 0
 
 
+def test_main_text_of_copies_without_article(spark):
+    from tessera.llm.extraction import extracted
+
+    page = "<html><body><div>{}</div><div>{}</div></body></html>"
+    copy, other = page.format("First line.", "Second line."), page.format("Quite another.", "And more.")
+    rows = [(1, "http://c.example.com/1", copy), (2, "http://c.example.com/2", copy), (3, "http://c.example.com/3", other)]
+    rows += 2 * [(4, "http://d.example.com/", copy)]  # one page of its own host, given twice
+    found = sorted((r.page_id, r.text) for r in extracted(spark, pages(spark, rows)).collect())
+    assert found == [(1, "First line.\nSecond line."), (2, "First line.\nSecond line."), (3, "Quite another.\nAnd more."),
+                     *2 * [(4, "First line.\nSecond line.")]]
+
+
 def test_chat_parts_and_escapes(spark):
     from tessera.llm.chat import PART, formatted, loss_text, turns_of
 
