@@ -1,15 +1,15 @@
 """Main text of web pages by equivalence classes of tokens.
 
-A token is a tag or a text node outside the article, told apart by the path of tags above it. Tokens of one host that occur
-equally often in each of its pages, that is with equal occurrence vectors, form an equivalence class; a vector is kept
-as a sum of hashes of (page, count), which adds up over partitions, so a host of any size is never gathered. Pages of a
-host with the same tokens in the same order are copies and count once, so that no text is template for having copies.
-Classes with at least two tokens in at least half of the host's pages are its template. On a page, a class is valid if its tokens
+A token is a tag or a text node, told apart by the path of tags above it. Tokens of one host that occur equally often in
+each of its pages, that is with equal occurrence vectors, form an equivalence class; a vector is kept as a sum of hashes
+of (page, count), which adds up over partitions, so a host of any size is never gathered. Pages of a host with the same
+tokens in the same order are copies and count once, so that no text is template for having copies. Classes with at
+least two tokens in at least half of the host's pages are its template. On a page, a class is valid if its tokens
 stand in the template's order and nest into the classes before it; tokens of valid classes are template, the gaps between
 them are slots. What remains in the slots is the page's own; of that, the blocks that are not in menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments are the main text. Text inside an article or main element is never
-taken for template, so copies of an article on one host keep it; where a page has such an element, its slots are those
-of the main text.
+sidebars, notices, adverts, forms or reader comments are the main text. An article or main element ranks the slots: those
+inside it are the main text, unless the slots beside it hold more text; then all are. Inside it, a token is template on
+LEAST_PAGES pages at least, and if template were most of the element's text, the page is one of near copies and keeps it.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ MARKS = frozenset(
     "banner skip".split())
 #: Words that mark boilerplate outside an article only: articles have headers of their own.
 OUTER_MARKS = frozenset("header top bottom".split())
+#: Text inside an article or main element is template only if so many pages of the host, copies counted once, share it.
+LEAST_PAGES = 5
 #: Start tags that end an open paragraph, and elements that end an open one of their own kind.
 _ENDS_P = BLOCK - frozenset("html head body li dd dt option tbody td tfoot th thead tr caption legend summary".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -78,11 +80,13 @@ def _marked(attributes: str, inside: bool) -> bool:
     return " hidden" in f" {_ATTR.sub('', attributes).lower()}"
 
 
-def parsed(html: str | None) -> tuple[list[tuple[str, object]], list[Node]]:
-    """The page's tokens in order, as (path, node or None for a tag), and its text nodes."""
+def parsed(html: str | None) -> tuple[list[tuple[str, object]], list[Node], list[bool]]:
+    """The page's tokens in order, as (path, node or None for a tag), its text nodes, and whether each token is inside an
+    article or main element."""
     html = html or ""
     tokens: list[tuple[str, object]] = []
     nodes: list[Node] = []
+    within: list[bool] = []
     stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]  # tag, path, dropped, kind
     at, block = 0, 0
 
@@ -95,6 +99,7 @@ def parsed(html: str | None) -> tuple[list[tuple[str, object]], list[Node]]:
         node = Node(entities.unescape(raw), path, block, dropped, kind)
         nodes.append(node)
         tokens.append((path, node))
+        within.append(bool(kind))
 
     def close_to(depth: int) -> None:
         nonlocal block
@@ -143,13 +148,13 @@ def parsed(html: str | None) -> tuple[list[tuple[str, object]], list[Node]]:
             name not in ("html", "body") and bool(m[3]) and _marked(m[3], bool(kind)))
         kept = "article" if name == "article" and not gone else kept
         own = f"{path}/{name}"
-        if not kind:
-            tokens.append((own, None))
+        tokens.append((own, None))
+        within.append(bool(kind))
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
             continue
         stack.append((name, own, gone, kept if not gone else kind))
     text(html[at:].partition("<")[0] if html[at:].startswith("<") else html[at:])
-    return tokens, nodes
+    return tokens, nodes, within
 
 
 def _hash(value: str) -> int:
@@ -158,10 +163,11 @@ def _hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
 
 
-def keyed(tokens: list[tuple[str, object]]) -> list[tuple[int, object]]:
-    """Tokens outside the article with their keys: a tag by its path, a text by its path and text."""
-    return [(_hash(path if node is None else f"{path}\0{_SPACE.sub(' ', node.text).strip()}") >> 1, node)
-            for path, node in tokens if node is None or not node.kind]
+def keyed(tokens: list[tuple[str, object]], within: list[bool]) -> list[tuple[int, object]]:
+    """Tokens with their keys: a tag by its path, a text by its path and text. Keys inside an article or main element are
+    odd, others even."""
+    return [((_hash(path if node is None else f"{path}\0{_SPACE.sub(' ', node.text).strip()}") >> 2) * 2 + inside, node)
+            for (path, node), inside in zip(tokens, within, strict=True)]
 
 
 def site(url: str | None) -> str:
@@ -177,16 +183,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sites, pages, found = [], [], []
         for url, html in zip(*(batch.column(i) for i in range(2)), strict=True):
-            tokens = parsed(html.as_py())[0]
-            keys = [key for key, _ in keyed(tokens)]
-            whole = [_hash(path if node is None else f"{path}\0{node.text}") >> 1 for path, node in tokens]
+            tokens, _, within = parsed(html.as_py())
+            keys = [key for key, _ in keyed(tokens, within)]
             count: dict[int, int] = {}
             first: dict[int, int] = {}
             for place, key in enumerate(keys):
                 count[key] = count.get(key, 0) + 1
                 first.setdefault(key, place)
             sites.append(site(url.as_py()))
-            pages.append(xxhash.xxh3_128_digest(np.array(whole, np.int64).tobytes()))
+            pages.append(xxhash.xxh3_128_digest(np.array(keys, np.int64).tobytes()))
             found.append([{"token": -1, "n": 1, "place": 0},  # -1 counts the pages
                           *({"token": key, "n": n, "place": first[key]} for key, n in count.items())])
         yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(pages, pa.binary()), pa.array(found, _FOUND)],
@@ -206,7 +211,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = distinct.select("site", "page", F.inline("found")).select("site", "token", "place", vector.alias("v")).groupBy(
         "site", "token").agg(F.count("*").alias("pages"), F.sum(F.col("v").bitwiseAND(0x7FFFFFFF)).alias("low"),
                              F.sum(F.shiftrightunsigned("v", 33)).alias("high"), F.avg("place").alias("place"))
-    tokens = tokens.where("pages > 1")
+    tokens = tokens.where(f"pages > 1 and (token = -1 or token % 2 = 0 or pages >= {LEAST_PAGES})")
     of = tokens.where("token = -1").select("site", F.col("pages").alias("all"))
     classes = tokens.where("token <> -1").join(of, "site").where("pages * 2 >= all").groupBy("site", "pages", "low", "high").agg(
         F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members")).where(F.size("members") >= 2)
@@ -241,19 +246,28 @@ def _in_one_gap(places: list[int], lo: int, hi: int) -> bool:
     return any(a < lo and hi < b for a, b in zip(places, places[1:], strict=False))
 
 
+def _length(nodes: list[Node]) -> int:
+    return sum(len(n.text.strip()) for n in nodes)
+
+
 def main_text(html: str | None, template: list[list[int]] | None = None) -> str:
     """The page's main text, blocks joined by line breaks."""
-    tokens, nodes = parsed(html)
+    tokens, nodes, within = parsed(html)
+    keys = keyed(tokens, within) if template else []
+    fixed = fixed_nodes(keys, template or [])
+    drawn = {id(node) for place, (_, node) in enumerate(keys) if place in fixed}
     usable = [n for n in nodes if not n.dropped]
-    for kind in ("article", "main", "div"):
-        inside = [n for n in usable if n.kind == kind or (kind == "main" and n.kind)]
-        if kind != "div" and any(n.text.strip() for n in inside):
+    inside = slots = [n for n in usable if id(n) not in drawn]
+    for kind in ("article", "main"):
+        element = [n for n in usable if n.kind == kind or (kind == "main" and n.kind)]
+        if any(n.text.strip() for n in element):
+            inside = [n for n in element if id(n) not in drawn]
+            if 2 * _length(inside) < _length(element):
+                inside = element  # near copies
+            if _length([n for n in slots if not n.kind]) > _length(inside):
+                chosen = {*map(id, slots), *map(id, inside)}
+                inside = [n for n in usable if id(n) in chosen]
             break
-    else:
-        outer = keyed(tokens)
-        fixed = fixed_nodes(outer, template or [])
-        slots = {id(node) for place, (_, node) in enumerate(outer) if node is not None and place not in fixed}
-        inside = [n for n in usable if id(n) in slots]
     blocks: list[str] = []
     last = None
     for n in inside:

@@ -234,6 +234,21 @@ def test_main_text_of_copies_without_article(spark):
                      *2 * [(4, "First line.\nSecond line.")]]
 
 
+def test_main_text_takes_template_out_of_main_elements(spark):
+    from tessera.llm.extraction import LEAST_PAGES, extracted
+
+    own = lambda i: f"Body {i} has words of its own. " * 9
+    rows = [(i, f"http://m.example.com/{i}", f"<body><main><h1>Title {i}</h1><p>{own(i)}</p><p>Tell your friends.</p></main></body>")
+            for i in range(LEAST_PAGES)]
+    rows += [(10, "http://t.example.com/", f"<body><article><p>A teaser.</p></article><div><p>{own(10)}</p></div></body>")]
+    # near copies: what they share is most of the element
+    rows += [(20 + i, f"http://n.example.com/{i}", f"<body><article><p>{own(20)}</p><p>Copy {i}</p></article></body>") for i in range(6)]
+    found = {r.page_id: r.text for r in extracted(spark, pages(spark, rows)).collect()}
+    assert all(found[i] == f"Title {i}\n{own(i).strip()}" for i in range(LEAST_PAGES))
+    assert found[10] == f"A teaser.\n{own(10).strip()}"
+    assert all(found[20 + i] == f"{own(20).strip()}\nCopy {i}" for i in range(6))
+
+
 def test_chat_parts_and_escapes(spark):
     from tessera.llm.chat import PART, formatted, loss_text, turns_of
 
