@@ -66,6 +66,9 @@ shared("scl30_branch_columns", f"{E_} select user_id as branch, line as clock, {
 shared("scl31_completion", f"{E_} select user_id, max(case when k = 1 then value end) as last_value, max(case when k = 1 then line end) as line from (select *, row_number() over (partition by user_id order by line desc) as k from e) x group by user_id")
 shared("win24_clips", """with f as (select conv_id, count(*) as n from {conversations} group by conv_id),
   c as (select conv_id, n, s from f, (select 0 as s union all select 2 union all select 4 union all select 6 union all select 8) q where s < n)
+  select conv_id, s as start, greatest(least(s, n - 4), 0) as first, greatest(least(s, n - 4), 0) + 3 as last from c""",
+  whole="""with f as (select conv_id, count(*) as n from {conversations} group by conv_id),
+  c as (select conv_id, n, explode(sequence(0, cast(n - 1 as int), 2)) as s from f)
   select conv_id, s as start, greatest(least(s, n - 4), 0) as first, greatest(least(s, n - 4), 0) + 3 as last from c""")
 shared("jn6_as_of", """with p as (select c_custkey as k, o.o_orderdate as d, o.o_orderkey as ok from {customer} join {orders} o on o.o_custkey = c_custkey)
   select a.ok, max(b.ok) as before from p a left join p b on a.k = b.k and b.d < a.d group by a.ok""")
