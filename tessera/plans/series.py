@@ -39,6 +39,11 @@ shared("win12_time_saving", f"""{S}, p as (select a.branch as old, b.branch as n
 shared("win13_valid_progress", f"{S} select branch, y1 < y0 and up < 0.1::double * (y0 - y1) as valid from e where n > 1")
 shared("win14_summarize_run", f"""{S}, c as (select branch, n, r from (select branch, n, explode_r as r from e, (select 1 as explode_r union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8) r) q where r * 3 <= n),
  b as (select c.branch, c.r, floor((s.k - (c.n - 3 * c.r)) / c.r) as b, avg(s.y) as y from c join s on s.branch = c.branch and s.k >= c.n - 3 * c.r group by c.branch, c.r, floor((s.k - (c.n - 3 * c.r)) / c.r)),
+ v as (select branch, r, max(case when b = 0 then y end) as y0, max(case when b = 2 then y end) as y1,
+  greatest(0, max(case when b = 1 then y end) - max(case when b = 0 then y end), max(case when b = 2 then y end) - max(case when b = 1 then y end)) as up from b group by branch, r)
+ select branch, min(r) as rate from v where y1 < y0 and up < 0.1::double * (y0 - y1) group by branch""",
+  whole=f"""{S}, c as (select branch, n, explode(sequence(1, cast(floor(n / 3) as int))) as r from e where n >= 3),
+ b as (select c.branch, c.r, floor((s.k - (c.n - 3 * c.r)) / c.r) as b, avg(s.y) as y from c join s on s.branch = c.branch and s.k >= c.n - 3 * c.r group by c.branch, c.r, floor((s.k - (c.n - 3 * c.r)) / c.r)),
  v as (select branch, r, max(case when b = 0 then y end) as y0, max(case when b = 2 then y end) as y1,
   greatest(0, max(case when b = 1 then y end) - max(case when b = 0 then y end), max(case when b = 2 then y end) - max(case when b = 1 then y end)) as up from b group by branch, r)
  select branch, min(r) as rate from v where y1 < y0 and up < 0.1::double * (y0 - y1) group by branch""")
