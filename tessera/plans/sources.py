@@ -8,10 +8,12 @@ from tessera.registry import Q6, query, shared
 
 shared("src1_batches", "select p_partkey, floor((row_number() over (order by p_partkey) - 1) / 32)::bigint as batch from {part}")
 shared("src2_keylist", "with k as (select l_partkey as k, l_orderkey as pos from {lineitem} where l_linenumber = 2) select pos, p_name, p_retailprice from k join {part} on p_partkey = k")
-shared("src3_seek", "select p_partkey, p_name from {part} where p_partkey >= 100 order by p_partkey limit 200")
+shared("src3_seek", "select p_partkey, p_name from {part} where p_partkey >= 100 order by p_partkey limit 200",
+  whole="select p_partkey, p_name from {part} where p_partkey >= 100 order by p_partkey")
 shared("src8_memory_pages", "select p_partkey, floor(p_partkey / 16)::bigint % 8 as page, p_partkey % 16 as slot from {part}")
 shared("src9_dummy", f"select n_nationkey as n, {Q6('1.5::double')} as constant, {Q6('n_nationkey / 25.0::double')} as ramp from {{nation}}")
-shared("src13_partition", "select p_partkey, p_partkey % 4 as part, lpad(cast(p_partkey as varchar(20)), 5, '0') as k from {part} where p_partkey < 100000")
+shared("src13_partition", "select p_partkey, p_partkey % 4 as part, lpad(cast(p_partkey as varchar(20)), 5, '0') as k from {part} where p_partkey < 100000",
+  whole="select p_partkey, p_partkey % 4 as part, lpad(cast(p_partkey as string), greatest(5, length(cast(p_partkey as string))), '0') as k from {part}")
 shared("src14_round_robin", "select event_id, (row_number() over (order by ts, event_id) - 1) % 3 as part from {events}")
 shared("src7_windows", """with b as (select l_orderkey, l_linenumber, l_discount * 10 as overlap from {lineitem})
   select l_orderkey, l_linenumber, case when overlap >= 0.5::double then 'fg' when overlap < 0.2::double then 'bg' else 'none' end as class from b""")

@@ -32,3 +32,14 @@ def test_rates_above_eight(spark, tmp_path):
     assert expected[5] == 9
     assert found(spark, tmp_path, "win14_summarize_run", orders=(rows, "o_orderkey long, o_custkey long, o_orderdate int, o_totalprice double")) == sorted(
         (c, r) for c, r in expected.items() if r)
+
+
+def test_parts_with_long_keys(spark, tmp_path):
+    keys = [1, 99_999, 100_000, 199_999, 1_234_567]
+    assert found(spark, tmp_path, "src13_partition", part=([(k,) for k in keys], "p_partkey long")) == [
+        (k, k % 4, f"{k:05d}") for k in keys]
+
+
+def test_seek_runs_to_the_end(spark, tmp_path):
+    assert found(spark, tmp_path, "src3_seek", part=([(k, f"p{k}") for k in range(500)], "p_partkey long, p_name string")) == [
+        (k, f"p{k}") for k in range(100, 500)]
