@@ -199,15 +199,16 @@ class NearDuplicates:
             fine = self._texts(docs, still).mapInArrow(_finer(self.words, finer), "node long, odd binary")
             fine = table(fine.join(nodes.select("node", "bands"), "node"), "fine")
         for turn, limit in enumerate((4, 64, None) if few else ()):
-            pairs = table(self._between(live, joined, fine, limit, most).join(known, ["a", "b"], "left_anti"), f"between{turn}")
-            if pairs.isEmpty():
-                break
-            more = self._confirmed(docs, pairs.select("a", "b"), f"more{turn}")
-            known = known.union(pairs.select("a", "b"))
-            cut = not pairs.where("cut").isEmpty()
-            if not more.isEmpty():
-                links = links.union(more)
-                joined = components(self.scratch, links, f"more{turn}")
+            between = table(self._between(live, joined, fine, limit, most), f"between{turn}")
+            # a pair that is known says too that others were left for later
+            cut = not between.where("cut").isEmpty()
+            pairs = table(between.select("a", "b").join(known, ["a", "b"], "left_anti"), f"pairs{turn}")
+            if not pairs.isEmpty():
+                more = self._confirmed(docs, pairs, f"more{turn}")
+                known = known.union(pairs)
+                if not more.isEmpty():
+                    links = links.union(more)
+                    joined = components(self.scratch, links, f"more{turn}")
             if not cut:
                 break
         drop("nodes", "live")

@@ -56,6 +56,24 @@ def brute_components(rows):
     return sorted((str(i), len(s), str(i if i is None else root(i))) for i, s in sets)
 
 
+def test_known_pairs_do_not_end_the_search(spark, monkeypatch):
+    from tessera.llm.neardup import NearDuplicates
+
+    base = [f"w{k}" for k in range(200)]
+    near = [f"v{k}" for k in range(37)] + base[37:]  # 0.65 to base, so both pairs of the star fail
+    rows = [(0, " ".join(base), "a"), (5, " ".join(near), "a"), (6, " ".join(near[:150] + ["other"] + near[151:]), "a")]
+    real = NearDuplicates._between
+
+    def between(self, live, joined, odd, limit, most):
+        """While there is a limit, the closest is a pair of the star, and others are cut."""
+        return real(self, live, joined, odd, limit, most) if limit is None else spark.createDataFrame(
+            [(0, 5, True)], "a long, b long, cut boolean")
+
+    monkeypatch.setattr(NearDuplicates, "_between", between)
+    found = NearDuplicates(spark).classes(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 5: 5, 6: 5}
+
+
 @pytest.mark.parametrize("real", [False, True])
 def test_near_duplicates_against_all_pairs(spark, real):
     from tessera.llm.neardup import NearDuplicates
