@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -161,12 +162,20 @@ def block_rows(uri: str, offset: int, length: int) -> list[list]:
     return [json.loads(line) for line in zlib.decompress(span(uri, offset, length), 31).decode().split("\n")]
 
 
+#: The block that a task asked last: keys come in order, so that each block is read about once.
+_block = lru_cache(maxsize=2)(block_rows)
+
+
 def find(uri: str, key: str) -> Iterator[list]:
-    """A key's captures in one shard: binary search in the directory, then range reads of its blocks."""
+    """A key's captures in one shard: binary search in the directory and in its blocks, which are read by ranges."""
     blocks = directory(uri)
     k = max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1)
     while k < len(blocks) and blocks[k][0] <= key:
-        yield from (row for row in block_rows(uri, blocks[k][1], blocks[k][2]) if row[0] == key)
+        rows = _block(uri, blocks[k][1], blocks[k][2])
+        at = bisect.bisect_left(rows, key, key=lambda row: row[0])
+        while at < len(rows) and rows[at][0] == key:
+            yield rows[at]
+            at += 1
         k += 1
 
 
@@ -259,18 +268,20 @@ class Captures:
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [dict(zip(_ENTRY.names, row, strict=True)) for uri, key in zip(
-                    *(batch.column(i).to_pylist() for i in range(2)), strict=True) for row in find(uri, key)]
-                yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY)
+                rows = (dict(zip(_ENTRY.names, row, strict=True)) for uri, key in zip(
+                    *(batch.column(i).to_pylist() for i in range(2)), strict=True) for row in find(uri, key))
+                while some := list(islice(rows, BLOCK_LINES)):
+                    yield pa.RecordBatch.from_pylist(some, schema=_ENTRY)
 
-        return urls.select("url").mapInArrow(route, "shard string, key string").distinct().repartition(
+        return urls.select("url").mapInArrow(route, "shard string, key string").distinct().repartitionByRange(
             "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(ask, _ENTRY_DDL)
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes a record for each page, then reads all of them back by the index."""
-    captures = Captures(spark).write(read(spark, sf_dir, "pages"))
-    return captures.records(captures.entries())
+    """Writes a record for each page, then looks all of them up by their URLs."""
+    pages = read(spark, sf_dir, "pages")
+    captures = Captures(spark).write(pages)
+    return captures.records(captures.lookup(pages))
 
 
 OP1_SQL = """

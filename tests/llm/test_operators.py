@@ -226,6 +226,16 @@ def test_lookup_finds_every_capture(spark):
         warc.BLOCK_LINES = old
 
 
+def test_warc_index_is_searched(spark, monkeypatch):
+    from tessera.llm import warc
+
+    def scan(self):
+        raise AssertionError("the index was scanned")
+
+    monkeypatch.setattr(warc.Captures, "entries", scan)
+    assert warc.op1_warc_index(spark, SF).count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
 def test_main_text(spark):
     from tessera.llm.extraction import extracted, main_text
 
