@@ -23,7 +23,6 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, read, small_batches
 from tessera.llm.files import create, fresh, size_of, span
-from tessera.llm.pieces import Memo
 
 MAGIC = b"TIDS0001"
 _HEAD, _TAIL = "<8s32sH", "<QQ8s"
@@ -39,50 +38,109 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(content: bytes):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_buffer(content)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
-
-
 #: ASCII marks that the tokenizer's pre-tokens keep together; no apostrophe, which may start a suffix.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words and parts of words that a worker remembers, and bytes of text that it encodes at a time. Memory only.
+MOST_WORDS, MOST_PARTS, CHUNK_BYTES = 600_000, 400_000, 8 << 20
+#: Words of more bytes are not remembered.
+LONG_WORD = 1024
+#: Letters up to here (Latin, Greek, Cyrillic) have been letters in every version of Unicode in use.
+_LAST_LETTER = "\u052f"
 
 
 class Encoder:
-    """Packed ids of a text. The tokenizer drops white space and parts words at it before its merges, so words at ASCII
-    white space are encoded one by one and remembered; of plain words, letters and marks apart, as it parts them too."""
+    """Packed ids of texts, those of the tokenizer's own ``encode(text, add_special_tokens=False)``: strings of special
+    tokens in a text are these tokens. The tokenizer drops white space and parts words at it before its merges, so words
+    at ASCII white space are encoded for themselves and remembered; of plain words, letters and marks apart, as it parts
+    them too. Letters that are new are encoded in one call: each part is one pre-token, which ends in a final token."""
 
     def __init__(self, content: bytes):
-        self.tokenizer = _tokenizer(content)
-        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.dtype = np.dtype("<u4" if wide else "<u2")
-        self.words = Memo(self._word, 400_000)
-        self.parts = Memo(self._ids, 400_000)
-
-    def _ids(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha():  # nothing is left to normalise or to part
-            ids = [t.id for t in self.tokenizer.model.tokenize(part)]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        letters = text.rstrip(MARKS)
-        lower = letters.lower()
-        # the lower case of a sigma depends on its place in Python, that of some letters holds a mark
-        if letters.isalpha() and lower.isalpha() and "Σ" not in letters:
-            marks = text[len(letters):]
-            return self.parts[lower] + (self.parts[marks] if marks else b"")
-        return self._ids(text)
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8").split()))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(content)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u4" if size > 1 << 16 else "<u2")
+        self.final = np.zeros(size, dtype=bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.final[i] = token.endswith(suffix)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.long: list[bytes] = []
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _learn_parts(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1 << 14):
+            some = new[at : at + (1 << 14)]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(some):  # a vocabulary of another kind
+                self.parts.update((part, self._ids(part)) for part in some)
+                continue
+            packed, lo = ids.astype(self.dtype).tobytes(), 0
+            for part, hi in zip(some, (ends * self.dtype.itemsize).tolist(), strict=True):
+                self.parts[part] = packed[lo:hi]
+                lo = hi
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain = []
+        for word in new:
+            text = word.decode("utf-8")
+            letters = text.rstrip(MARKS)
+            lower = letters.lower()
+            # the lower case of a sigma depends on its place in Python, that of some letters holds a mark
+            if letters.isalpha() and lower.isalpha() and "Σ" not in letters and (
+                    lower.isascii() or max(lower) <= _LAST_LETTER):
+                plain.append((word, lower, text[len(letters):]))
+            else:
+                self.words[word] = self._ids(text)
+                if len(word) > LONG_WORD:
+                    self.long.append(word)
+        if len(self.parts) > MOST_PARTS:
+            self.parts = {}
+        if len(self.marks) > MOST_PARTS:
+            self.marks = {}
+        self._learn_parts(list({lower for _, lower, _ in plain if lower not in self.parts}))
+        for word, lower, marks in plain:
+            if marks and marks not in self.marks:
+                self.marks[marks] = self._ids(marks)
+            self.words[word] = self.parts[lower] + self.marks[marks] if marks else self.parts[lower]
+            if len(word) > LONG_WORD:
+                self.long.append(word)
+                self.parts.pop(lower, None), self.marks.pop(marks, None)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The packed ids of each text; none of a null."""
+        words = [(t or "").encode("utf-8").split() for t in texts]
+        every = set().union(*words)
+        if len(self.words) + len(every) > MOST_WORDS:
+            self.words = {}
+        self._learn(every.difference(self.words))
+        ids = [b"".join(map(self.words.__getitem__, w)) for w in words]
+        while self.long:
+            del self.words[self.long.pop()]
+        return ids
+
+
+@lru_cache(maxsize=2)
+def encoder_of(content: bytes) -> Encoder:
+    """One encoder for each Python worker, whatever its tasks."""
+    return Encoder(content)
+
+
+def _chunks(texts: pa.Array) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for text in texts.to_pylist():
+        held.append(text)
+        size += len(text or "")
+        if size > CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -102,33 +160,40 @@ def _dictionary(uri: str):
     return zstandard.ZstdCompressionDict(span(uri, 0, size_of(uri)))
 
 
-def _sampled(tokenizer):
+def _encoded(tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer.value)
+        encoder = encoder_of(tokenizer.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([encoder.encode(t.as_py())[:SAMPLE_BYTES] for t in batch.column(0)], pa.binary())], names=["ids"])
+            at = 0
+            for texts in _chunks(batch.column(2)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(encoder.encode(texts), pa.binary())],
+                                                 names=["doc_id", "mark", "ids"])
     return run
 
 
-def _written(tokenizer, folder: str, dictionary: str, end: int):
+_WRITTEN = pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()),
+                      ("bytes", pa.int64())])
+
+
+def _written(folder: str, dictionary: str, width: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer.value)
-        last = np.array([end], dtype=encoder.dtype).tobytes()
+        last = np.array([end], dtype=f"<u{width}").tobytes()
         frames = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_dict_id=False)
         uri, index, out, at, tokens = fresh(folder, ".ids"), [], None, 0, 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if out is None:
                     out = create(uri)
-                    at = out.write(struct.pack(_HEAD, MAGIC, bytes.fromhex(dictionary.rpartition("/")[2]), encoder.dtype.itemsize))
-                ids = encoder.encode(text.as_py()) + last
+                    at = out.write(struct.pack(_HEAD, MAGIC, bytes.fromhex(dictionary.rpartition("/")[2]), width))
+                ids = ids.as_py() + last
                 frame = frames.compress(ids)
                 out.write(frame)
-                n = len(ids) // encoder.dtype.itemsize
+                n = len(ids) // width
                 index.append((doc or 0, doc is None, at, len(frame), n))
                 at, tokens = at + len(frame), tokens + n
         if out is not None:
@@ -137,9 +202,7 @@ def _written(tokenizer, folder: str, dictionary: str, end: int):
             out.write(struct.pack(_TAIL, at, len(packed), MAGIC))
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": uri, "docs": len(index),
-                                               "tokens": tokens, "bytes": at + len(packed) + _TAIL_SIZE}],
-                                             schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()),
-                                                               ("tokens", pa.int64()), ("bytes", pa.int64())]))
+                                               "tokens": tokens, "bytes": at + len(packed) + _TAIL_SIZE}], schema=_WRITTEN)
     return run
 
 
@@ -187,30 +250,33 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = Non
     """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order, nulls first; returns the manifest: one row
     (file, base, docs, tokens, bytes) for each file.
 
-    A null or empty text has only the end id. Rows that share an id follow one another, by a hash of their texts;
-    other columns are ignored. An empty table gives an empty manifest.
+    A null or empty text has only the end id. The string of a special token in a text is that token, as the tokenizer
+    has it. Rows that share an id follow one another, by a hash of their texts; other columns are ignored. An empty
+    table gives an empty manifest. Texts are encoded where they are read; only ids are sorted.
     """
     small_batches(spark)
     scratch = Scratch(spark, "token-ids")
     with open(tokenizer_path or default_tokenizer(), "rb") as f:
-        tokenizer = spark.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the input
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id")
-              .limit(SAMPLE_DOCS).collect()]
-    samples = docs.where(F.col("doc_id").isin(chosen)).select("text").mapInArrow(_sampled(tokenizer), "ids binary").limit(
-        2 * SAMPLE_DOCS).collect() if chosen else []
-    content = train(sorted(bytes(r[0]) for r in samples if r[0]))
-    dictionary = f"{scratch.path}/files/{hashlib.sha256(content).hexdigest()}"
+        content = f.read()
+    width = Encoder(content).dtype.itemsize
+    tokenizer = spark.sparkContext.broadcast(content)  # a vocabulary file, whatever the input
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"),
+                       F.col("text").cast("string").alias("text"))
+    ids = scratch.table(rows.mapInArrow(_encoded(tokenizer), "doc_id long, mark long, ids binary"), "ids")
+    head = F.substring("ids", 1, SAMPLE_BYTES // width * width)
+    chosen = ids.where("doc_id is not null").select("doc_id", "mark", head.alias("head")).orderBy(
+        F.xxhash64("doc_id"), "doc_id", "mark").limit(SAMPLE_DOCS).collect()
+    learned = train([bytes(r.head) for r in chosen if r.head])
+    dictionary = f"{scratch.path}/files/{hashlib.sha256(learned).hexdigest()}"
     with create(dictionary) as f:
-        f.write(content)
-    mark = F.xxhash64("text")
-    written = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), mark).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), mark).mapInArrow(
-        _written(tokenizer, f"{scratch.path}/files", dictionary, end),
-        "part int, file string, docs long, tokens long, bytes long")
+        f.write(learned)
+    order = [F.col("doc_id").asc_nulls_first(), "mark"]
+    written = scratch.table(ids.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(
+        _written(f"{scratch.path}/files", dictionary, width, end),
+        "part int, file string, docs long, tokens long, bytes long"), "written")
+    scratch.drop("ids")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return scratch.table(written, "written").select(
-        "file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), "docs", "tokens", "bytes")
+    return written.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), "docs", "tokens", "bytes")
 
 
 def digests(manifest: DataFrame) -> DataFrame:

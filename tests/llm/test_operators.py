@@ -173,8 +173,11 @@ def test_token_files_against_the_tokenizer(spark):
     from tessera.llm.token_files import TokenFile, default_tokenizer, digests, write
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     rows = odd_documents() + [(100 + i, x, s) for i, x, s in real_documents(spark)]
+    rows += [(50 + i, x, "a") for i, x in enumerate((
+        "hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "don't 'tis we'LL x's!",
+        "ÅÅ Å Ω ΟΔΟΣ İstanbul ﬁ 한글 한 漢字かな１２a1b2 a\u00a0b\u3000c ǅ ẞ", "x" * 3000 + "!! " + "!" * 3000 + " " + "é" * 2000))]
+    assert t.encode("hello <|endoftext|> world", add_special_tokens=False).ids[1] == 49407
     manifest = write(spark, documents(spark, rows))
     found = sorted(digests(manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
