@@ -7,7 +7,8 @@ formatted string, in code points.
 
 A formatted turn is ``<|im_start|>role<|im_sep|>content<|im_end|>``. In roles and text parts a backslash is written twice
 and ``<|`` as ``<\\|``, so control strings and placeholders never occur in escaped text, and dropping each backslash
-before a character undoes it.
+before a character undoes it. A part's first ``|`` is written ``\\|`` too unless it is the turn's first part, so a ``<`` at the
+end of the part before doesn't make one with it; a placeholder's type has a backslash before each ``|`` and ``:``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,18 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escape_part(text: Column, nth: Column) -> Column:
+    """The ``nth`` part of a turn, from 0."""
+    text = escape(text)
+    return F.when((nth > 0) & F.startswith(text, F.lit("|")), F.concat(F.lit("\\"), text)).otherwise(text)
+
+
+def escape_type(kind: Column) -> Column:
+    for mark in ("\\", "|", ":"):
+        kind = F.replace(kind, F.lit(mark), F.lit("\\" + mark))
+    return kind
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)\\\\(.)", "$1")
 
@@ -54,7 +67,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     Turns stand in the order of ``turn``, nulls first, then of role and content; repeated rows are repeated turns. A
     null role, text or content is empty; a null conv_id is a conversation of its own. Parts of unknown types get a
-    placeholder and no tokens. Other columns are ignored.
+    placeholder and no tokens. Other columns are ignored; an empty table gives no rows.
     """
     empty = F.array().cast(f"array<{PART}>")
     turns = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -66,8 +79,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     turns = turns.withColumn("first", F.coalesce(F.sum(F.size("others")).over(before), F.lit(0)))
     # the visitor: a part's placeholder number is the conversation's count before the turn plus that within the turn
     body = F.array_join(F.transform("content", lambda p, i: F.when(
-        F.coalesce(p["type"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(
-            F.lit("<|"), escape(p["type"]), F.lit(":"),
+        F.coalesce(p["type"], F.lit("text")) == "text", escape_part(F.coalesce(p["text"], F.lit("")), i)).otherwise(F.concat(
+            F.lit("<|"), escape_type(p["type"]), F.lit(":"),
             (F.col("first") + F.size(F.filter(F.slice("content", 1, i + 1), lambda q: F.coalesce(q["type"], F.lit("text")) != "text"))
              ).cast("string"), F.lit("|>")))), "")
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
