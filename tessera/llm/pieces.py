@@ -44,8 +44,6 @@ class Pieces:
         self.table = {p[:n]: None for p in self.id for n in range(1, len(p) + 1)}
         self.table.update({p: (self.score[p], i) for p, i in self.id.items()})
         self.ends = {p[-n:] for p in self.id for n in range(1, len(p) + 1)}
-        self.alphabet = frozenset(p for p in self.id if len(p) == 1)
-        self.automaton = _automaton(self.id, self.score)
         #: No piece holds a space after anything else, nor a line break: so such places always part the lattice.
         self.parts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.parts_at_line = not any("\n" in p for p in self.id)
@@ -65,17 +63,6 @@ class Pieces:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
-def _automaton(ids: dict[str, int], score: dict[str, float]):
-    """Finds all pieces that end at each place of a text, longest first, as (length, score, id)."""
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for p, i in ids.items():
-        found.add_word(p, (len(p), score[p], i))
-    found.make_automaton()
-    return found
-
-
 @lru_cache(maxsize=2)
 def pieces_of(model: bytes) -> Pieces:
     """One vocabulary for each Python worker."""

@@ -24,13 +24,12 @@ from tessera.llm.common import read, small_batches
 from tessera.llm.pieces import SPACE, Memo, Pieces, pieces_of, read_model
 
 
-#: Boundaries after which open paths are traced back, where none has closed them before.
-PATIENCE = 256
 _LOW = float("-inf")
 
 
-def stream(text: str, v: Pieces, patience: int = PATIENCE) -> Iterator[list[int]]:
-    """Yields lists of final ids of ``text``, in which spaces are written as SPACE."""
+def stream(text: str, v: Pieces) -> Iterator[list[int]]:
+    """Yields lists of final ids of ``text``, in which spaces are written as SPACE. Where pieces reach over every boundary,
+    the open paths are traced back once for each length of the longest piece."""
     table, none, n = v.table, (), len(text)
     base, far = 0, 0  # the committed boundary; the furthest boundary that a piece may reach from before here
     best, frm, ids = [0.0], [0], [0]  # of the boundaries from base on; frm counts from base
@@ -40,7 +39,7 @@ def stream(text: str, v: Pieces, patience: int = PATIENCE) -> Iterator[list[int]
             yield _traced(text, v, base, r, frm, ids)
             base, r = j, 0
             best, frm, ids = [0.0], [0], [0]
-        elif r >= patience and r % v.longest == 0:
+        elif r and j % v.longest == 0:
             alive = {r, *(k for k in range(max(0, r - v.longest), len(best)) if best[k] > _LOW)}
             while len(alive) > 1:
                 last = max(alive)
@@ -75,26 +74,6 @@ def stream(text: str, v: Pieces, patience: int = PATIENCE) -> Iterator[list[int]
     yield _traced(text, v, base, n - base, frm, ids)
 
 
-def stretch(text: str, v: Pieces) -> list[int]:
-    """The ids of a stretch that is short enough to be one window, the same as ``stream`` gives."""
-    if len(text) > PATIENCE or not v.alphabet.issuperset(text):
-        return list(chain.from_iterable(stream(text, v)))
-    n = len(text)
-    best, frm, ids = [_LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    best[0] = 0.0
-    for e, (size, score, i) in v.automaton.iter(text):
-        r = e + 1 - size
-        s = best[r] + score
-        if s > best[e + 1]:
-            best[e + 1], frm[e + 1], ids[e + 1] = s, r, i
-    out = []
-    while n:
-        out.append(ids[n])
-        n = frm[n]
-    out.reverse()
-    return out
-
-
 def _traced(text: str, v: Pieces, base: int, k: int, frm: list[int], ids: list[int]) -> list[int]:
     out: list[int] = []
     while k:
@@ -118,7 +97,7 @@ class Codec:
         self.fast = v.parts_at_space and v.parts_at_line
 
     def _ids(self, text: str) -> bytes:
-        return array("I", stretch(text.replace(" ", SPACE), self.v)).tobytes()
+        return array("I", chain.from_iterable(stream(text.replace(" ", SPACE), self.v))).tobytes()
 
     def encode(self, text: str) -> bytes:
         if SPACE in text:  # its own U+2581 go as bytes, each between two stretches
