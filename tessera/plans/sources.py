@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.registry import Q6, query, shared
 
+
+def padded(number: Column, width: int) -> Column:
+    """A number with zeros before it up to a width; a longer one stays whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+
+
 shared("src1_batches", "select p_partkey, floor((row_number() over (order by p_partkey) - 1) / 32)::bigint as batch from {part}")
 shared("src2_keylist", "with k as (select l_partkey as k, l_orderkey as pos from {lineitem} where l_linenumber = 2) select pos, p_name, p_retailprice from k join {part} on p_partkey = k")
 shared("src3_seek", "select p_partkey, p_name from {part} where p_partkey >= 100 order by p_partkey limit 200",
@@ -24,7 +32,7 @@ def _(t):
     from pyspark.sql.window import Window
 
     nth = F.row_number().over(Window.orderBy("p_partkey")) - 1
-    return t("part").select(F.concat(F.lpad(nth.cast("string"), 8, "0"), F.lit("_"), "p_name").alias("k"), F.col("p_size").alias("label"))
+    return t("part").select(F.concat(padded(nth, 8), F.lit("_"), "p_name").alias("k"), F.col("p_size").alias("label"))
 
 
 @query("src15_features", f"select lpad(vec_id::varchar, 10, '0') as k, len(embedding) as n, {Q6('list_sum(embedding::double[])')} as total from embeddings")
@@ -32,7 +40,7 @@ def _(t):
     from tessera.operators.elementwise import reduce
     from tessera.registry import q6
 
-    return t("embeddings").select(F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("k"), F.size("embedding").cast("long").alias("n"),
+    return t("embeddings").select(padded(F.col("vec_id"), 10).alias("k"), F.size("embedding").cast("long").alias("n"),
                                   q6(reduce(F.col("embedding"))).alias("total"))
 
 

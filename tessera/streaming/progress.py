@@ -13,7 +13,8 @@ REPORT = "worker int, branch int, clock long, progress double"
 
 def complete_clocks(reports: DataFrame, workers: int) -> DataFrame:
     """A clock's mean progress once all workers have reported it: the count of reports closes it, not the time. A report of
-    a closed clock and a worker's second report of a clock are dropped. State is one row an open clock."""
+    a closed clock and a worker's second report of a clock are dropped. State is a row for each clock: the workers seen and
+    their sum while it is open, then a flag, which stays."""
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         closed, seen, total = state.get if state.exists else (False, [], 0.0)
         seen = list(seen)
@@ -33,6 +34,7 @@ def complete_clocks(reports: DataFrame, workers: int) -> DataFrame:
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Tumbling event-time windows with a watermark. A platform capability; the batch form gives the same rows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(
+    """Tumbling event-time windows with a watermark. A platform capability; the batch form gives the same rows. ``ts`` may
+    be without a time zone; it is then taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
