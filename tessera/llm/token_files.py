@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,13 @@ LONG_WORD = 1024
 _LAST_LETTER = "\u052f"
 
 
+def _plain(letters: str, lower: str) -> bool:
+    """Whether the tokenizer takes the letters of a word, in their lower case, for one pre-token. The lower case of a sigma
+    depends on its place in Python, that of some letters holds a mark."""
+    return lower.isalpha() and letters.isalpha() and (
+        letters.isascii() or "Σ" not in letters and max(lower) <= _LAST_LETTER)
+
+
 class Encoder:
     """Packed ids of texts, those of the tokenizer's own ``encode(text, add_special_tokens=False)``: strings of special
     tokens in a text are these tokens. The tokenizer drops white space and parts words at it before its merges, so words
@@ -76,7 +84,8 @@ class Encoder:
     def _learn_parts(self, new: list[str]) -> None:
         for at in range(0, len(new), 1 << 14):
             some = new[at : at + (1 << 14)]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
+            # this form gives the same ids and computes no offsets
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(some):  # a vocabulary of another kind
                 self.parts.update((part, self._ids(part)) for part in some)
@@ -87,31 +96,31 @@ class Encoder:
                 lo = hi
 
     def _learn(self, new: set[bytes]) -> None:
-        plain = []
-        for word in new:
-            text = word.decode("utf-8")
-            letters = text.rstrip(MARKS)
-            lower = letters.lower()
-            # the lower case of a sigma depends on its place in Python, that of some letters holds a mark
-            if letters.isalpha() and lower.isalpha() and "Σ" not in letters and (
-                    lower.isascii() or max(lower) <= _LAST_LETTER):
-                plain.append((word, lower, text[len(letters):]))
+        words, parts, marks = self.words, self.parts, self.marks
+        if len(parts) > MOST_PARTS:
+            parts.clear()
+        if len(marks) > MOST_PARTS:
+            marks.clear()
+        order = list(new)
+        texts = b" ".join(order).decode("utf-8").split(" ") if order else []
+        letters = [text.rstrip(MARKS) for text in texts]
+        lowers = " ".join(letters).lower().split(" ") if order else []
+        plain = [_plain(a, b) for a, b in zip(letters, lowers, strict=True)]
+        self._learn_parts(list(set(compress(lowers, plain)).difference(parts)))
+        for word, text, letter, lower, fine in zip(order, texts, letters, lowers, plain, strict=True):
+            if not fine:
+                words[word] = self._ids(text)
+            elif len(letter) == len(text):
+                words[word] = parts[lower]
             else:
-                self.words[word] = self._ids(text)
-                if len(word) > LONG_WORD:
-                    self.long.append(word)
-        if len(self.parts) > MOST_PARTS:
-            self.parts = {}
-        if len(self.marks) > MOST_PARTS:
-            self.marks = {}
-        self._learn_parts(list({lower for _, lower, _ in plain if lower not in self.parts}))
-        for word, lower, marks in plain:
-            if marks and marks not in self.marks:
-                self.marks[marks] = self._ids(marks)
-            self.words[word] = self.parts[lower] + self.marks[marks] if marks else self.parts[lower]
+                mark = text[len(letter):]
+                if mark not in marks:
+                    marks[mark] = self._ids(mark)
+                words[word] = parts[lower] + marks[mark]
+        for k, word in enumerate(order):
             if len(word) > LONG_WORD:
                 self.long.append(word)
-                self.parts.pop(lower, None), self.marks.pop(marks, None)
+                parts.pop(lowers[k], None), marks.pop(texts[k][len(letters[k]):], None)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; none of a null."""
