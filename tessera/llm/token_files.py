@@ -29,7 +29,7 @@ MAGIC = b"TIDS0001"
 _HEAD, _TAIL = "<8s32sH", "<QQ8s"
 _HEAD_SIZE, _TAIL_SIZE = struct.calcsize(_HEAD), struct.calcsize(_TAIL)
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n", "<u8")])
-#: The dictionary is trained on so many documents (the smallest hashes of the ids), of each so many bytes at most.
+#: The dictionary is trained on so many documents (the smallest hashes of ids and texts), of each so many bytes at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 1 << 15, 1 << 16
 
 
@@ -273,8 +273,11 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = Non
                        F.col("text").cast("string").alias("text"))
     ids = scratch.table(rows.mapInArrow(_encoded(tokenizer), "doc_id long, mark long, ids binary"), "ids")
     head = F.substring("ids", 1, SAMPLE_BYTES // width * width)
-    chosen = ids.where("doc_id is not null").select("doc_id", "mark", head.alias("head")).orderBy(
-        F.xxhash64("doc_id"), "doc_id", "mark").limit(SAMPLE_DOCS).collect()
+    key = F.xxhash64("doc_id", "mark")
+    # some twice as many rows as are wanted pass the bound, so what tasks send does not grow with their number
+    bound = min((1 << 63) - 1, -(1 << 63) + (1 << 65) * SAMPLE_DOCS // max(1, ids.count()))
+    chosen = ids.where("doc_id is not null").where(key <= F.lit(bound)).select(
+        key.alias("key"), "doc_id", "mark", head.alias("head")).orderBy("key", "doc_id", "mark").limit(SAMPLE_DOCS).collect()
     learned = train([bytes(r.head) for r in chosen if r.head])
     dictionary = f"{scratch.path}/files/{hashlib.sha256(learned).hexdigest()}"
     with create(dictionary) as f:
