@@ -42,7 +42,7 @@ def default_tokenizer() -> str:
 #: ASCII marks that the tokenizer's pre-tokens keep together; no apostrophe, which may start a suffix.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words and parts of words that a worker remembers, and bytes of text that it encodes at a time. Memory only.
-MOST_WORDS, MOST_PARTS, CHUNK_BYTES = 600_000, 400_000, 8 << 20
+MOST_WORDS, MOST_PARTS, CHUNK_BYTES = 1_200_000, 700_000, 8 << 20
 #: Words of more bytes are not remembered.
 LONG_WORD = 1024
 #: Letters up to here (Latin, Greek, Cyrillic) have been letters in every version of Unicode in use.
