@@ -89,7 +89,7 @@ def _traced(text: str, v: Pieces, base: int, k: int, frm: list[int], ids: list[i
 class Codec:
     """Encodes texts to packed little-endian 32-bit ids and back. Exact: decode(encode(text)) == text."""
 
-    def __init__(self, v: Pieces, memo: int = 300_000):
+    def __init__(self, v: Pieces, memo: int = 700_000):
         self.v = v
         self.first = Memo(lambda w: self._ids(w), memo)
         self.spaced = Memo(lambda w: self._ids(" " + w), memo)
