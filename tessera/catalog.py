@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import parameters, sequences, series, sources, tensor, tuner  # noqa: F401
+from tessera.plans import gradients, parameters, randoms, sequences, series, sources, tables, tensor, tuner  # noqa: F401
 from tessera.registry import ORACLES, QUERIES
 
 

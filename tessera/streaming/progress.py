@@ -38,3 +38,15 @@ def windowed(events: DataFrame, late: str = "10 minutes", width: str = "5 minute
     be without a time zone; it is then taken in the session's."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(
         F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sliding(events: DataFrame, late: str = "10 minutes", width: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
+    """Overlapping event-time windows by event type; an event counts in each window that holds it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(
+        F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "5 minutes") -> DataFrame:
+    """A user's events that follow one another within the gap, as one row with the first and the last time."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).select("user_id", "first", "last", "n")
