@@ -76,7 +76,11 @@ shared("win24_clips", """with f as (select conv_id, count(*) as n from {conversa
   c as (select conv_id, n, explode(sequence(0, cast(n - 1 as int), 2)) as s from f)
   select conv_id, s as start, greatest(least(s, n - 4), 0) as first, greatest(least(s, n - 4), 0) + 3 as last from c""")
 shared("jn6_as_of", """with p as (select c_custkey as k, o.o_orderdate as d, o.o_orderkey as ok from {customer} join {orders} o on o.o_custkey = c_custkey)
-  select a.ok, max(b.ok) as before from p a left join p b on a.k = b.k and b.d < a.d group by a.ok""")
+  select a.ok, max(b.ok) as before from p a left join p b on a.k = b.k and b.d < a.d group by a.ok""",
+  whole="""with p as (select c_custkey as k, o.o_orderdate as d, o.o_orderkey as ok from {customer} join {orders} o on o.o_custkey = c_custkey),
+  g as (select k, d, max(ok) as m from p group by k, d),
+  w as (select k, d, max(case when d is not null then m end) over (partition by k order by d rows between unbounded preceding and 1 preceding) as before from g)
+  select p.ok, max(w.before) as before from p join w on p.k = w.k and p.d <=> w.d group by p.ok""")
 shared("agg17_vote", f"""with p as (select o_custkey as video, o_orderpriority as class, avg(o_totalprice) as p from {{orders}} group by o_custkey, o_orderpriority),
   r as (select *, row_number() over (partition by video order by p desc, class desc) as r from p)
   select class, count(*) as videos, {Q6('avg(p)')} as p from r where r = 1 group by class""")

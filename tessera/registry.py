@@ -33,7 +33,7 @@ def Q6(x: str) -> str:
 
 def shared(name: str, sql: str, whole: str | None = None) -> None:
     """Registers SQL that both engines read alike; ``{orders}`` stands for the table orders. ``whole`` is Spark's form
-    where the SQL stops at a bound."""
+    where the SQL stops at a bound or is a slower plan."""
     form = whole or sql
     tables = set(re.findall(r"\{(\w+)\}", form))
     QUERIES[name] = lambda spark, sf_dir: spark.sql(form, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
