@@ -120,3 +120,32 @@ def _(t):
     from tessera.streaming.progress import sessions
 
     return sessions(events(t), gap="12 hours").select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "n")
+
+
+@query("win21_loss_blocks", """with l as (select user_id % 8 as log, list(epoch_us(ts) // 1000000 % 86400 order by ts, event_id) as s, list(event_id order by ts, event_id) as c,
+  list(value order by ts, event_id) as v from events group by user_id % 8),
+ b as (select *, unnest(range(len(s) // 4)) as b, list_transform(s, lambda x: case when x < s[1] then x + 86400 else x end) as t from l)
+ select log, b as block, c[4 * b + 4] as clock, t[4 * b + 4] - t[4] as seconds, """ + Q6("(v[4 * b + 1] + v[4 * b + 2] + v[4 * b + 3] + v[4 * b + 4]) / 4") + " as loss from b")
+def _(t):
+    """The summary of a log of losses from four workers: of each whole block of four lines the last line's clock, its time
+    of day since the first block's last line, and the mean loss. A time before the log's first is of the next day. A log is
+    one partition, as its lines have one order."""
+    lines = Window.partitionBy("log").orderBy("ts", "event_id")
+    rows = events(t).select((F.col("user_id") % 8).alias("log"), "ts", "event_id", "value", (F.unix_seconds("ts") % 86400).alias("s"))
+    first = F.first("s").over(lines)
+    rows = rows.withColumn("line", F.row_number().over(lines) - 1).withColumn("s", F.when(F.col("s") < first, F.col("s") + 86400).otherwise(F.col("s")))
+    blocks = rows.groupBy("log", F.floor(F.col("line") / 4).alias("block")).agg(
+        F.count("*").alias("n"), F.max_by("event_id", "line").alias("clock"), F.max_by("s", "line").alias("s"), F.avg("value").alias("loss")).where("n = 4")
+    base = F.first("s").over(Window.partitionBy("log").orderBy("block"))
+    return blocks.select("log", "block", "clock", (F.col("s") - base).alias("seconds"), q6(F.col("loss")).alias("loss"))
+
+
+@query("src21_net_summary", """select 1 as place, 'ip1' as layer, 'InnerProduct' as type, 'data' as bottom, 'ip1' as top, max(len(embedding)) * count(distinct label) + count(distinct label) as params from embeddings
+  union all select 2, 'prob', 'Softmax', 'ip1', 'prob', 0 union all select 3, 'loss', 'SoftmaxWithLoss', 'ip1,label', 'loss', 0""")
+def _(t):
+    """The layers of the classifier over the embeddings in order, with the parameters that each holds for these data."""
+    size = t("embeddings").agg(F.max(F.size("embedding")).alias("inputs"), F.count_distinct("label").alias("outputs"))  # one row
+    layers = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(a).alias("layer"), F.lit(b).alias("type"), F.lit(c).alias("bottom"), F.lit(d).alias("top"), F.lit(w).alias("w"))
+                       for k, a, b, c, d, w in ((1, "ip1", "InnerProduct", "data", "ip1", 1), (2, "prob", "Softmax", "ip1", "prob", 0), (3, "loss", "SoftmaxWithLoss", "ip1,label", "loss", 0))))
+    return size.select(F.explode(layers).alias("l"), ((F.col("inputs") + 1) * F.col("outputs")).alias("p")).select(
+        "l.place", "l.layer", "l.type", "l.bottom", "l.top", (F.col("p") * F.col("l.w")).alias("params"))

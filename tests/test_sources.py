@@ -68,3 +68,36 @@ def test_windows_stream_as_in_batch(spark, tmp_path, f, mode):
     got = {tuple(r) for r in spark.table(name).collect()}
     want = {tuple(r) for r in f(batch).collect()}
     assert got and (got == want if mode == "complete" else got <= want)
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stopped between two files, a query with state gives in the end what one batch over both gives, each row once."""
+    rows, source, sink = spark.read.parquet(EVENTS), str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        def keep(df, batch):
+            df.write.mode("overwrite").parquet(sink)
+
+        q = sliding(spark.readStream.schema(rows.schema).parquet(source)).writeStream.foreachBatch(keep).outputMode("complete").option(
+            "checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(map(tuple, spark.read.parquet(sink).collect()))
+
+    for part in (0, 1):
+        rows.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+        got = run()
+        assert got == sorted(map(tuple, sliding(spark.read.parquet(source)).collect()))
+    assert sum(r[2] for r in got) == 2 * rows.count()
+
+
+def test_a_log_over_midnight(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tessera.catalog import QUERIES
+
+    start = datetime(2024, 1, 1, 23, 59, 50)
+    rows = [(k, start + timedelta(seconds=5 * k), 8, "x", float(k), "") for k in range(10)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    # two whole blocks of four lines; the last two lines are left over
+    assert sorted(tuple(r) for r in QUERIES["win21_loss_blocks"](spark, str(tmp_path)).collect()) == [(0, 0, 3, 0, 1.5), (0, 1, 7, 20, 5.5)]
